@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, name: str = "sievora", **conf: str) -> SparkSession:
@@ -35,3 +37,25 @@ def shared_folder(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="sievora-")
         context.setCheckpointDir(named)
     return named
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet under the shared folder and read again.
+
+    What follows reads the files, column by column, instead of computing df once more, and a
+    lost executor costs none of them. The folder goes when the driver's interpreter ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/sievora/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001 - the session is over, and its folder with it
+        pass
