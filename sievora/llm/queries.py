@@ -4,8 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievora.llm.content import content_copies, content_groups, content_keys, normal_passages
 from sievora.llm.term_counts import marked_terms
-from sievora.sources.tables import table
+from sievora.session import materialized
+from sievora.sources.tables import table, valid_passages
+
+
+def _content_keys(spark: SparkSession, folder: str) -> DataFrame:
+    valid = valid_passages(table(spark, folder, "passages"), "passage")
+    return content_keys(materialized(normal_passages(valid).drop("passage"), "contents"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return content_copies(_content_keys(spark, folder))
+
+
+def p4_contents(spark: SparkSession, folder: str) -> DataFrame:
+    return content_groups(_content_keys(spark, folder)).select("first_id", "copies")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,6 +31,29 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return marked_terms(table(spark, folder, "elements"))
 
 
+# A number keeps its sign and decimal points; RE2 has no lookaround, hence the long form.
+_TOKEN = r"(?:-?\p{Nd}(?:\.\p{Nd})+|-\p{Nd}|[\p{L}\p{N}])(?:\p{Nd}(?:\.\p{Nd})+|[\p{L}\p{N}])*"
+_NORMAL = f"array_to_string(regexp_extract_all(replace(lower(%s), chr(8722), '-'), '{_TOKEN}'), ' ')"
+_VALID = """
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS nth
+      FROM passages WHERE id IS NOT NULL) WHERE nth = 1)"""
+_CONTENTS = (
+    f"WITH {_VALID},"
+    + r"""
+f AS (SELECT id, passage, list_filter(regexp_split_to_array(passage, '[;|\n\r]+'), lambda x: trim(x) <> '') AS pieces
+      FROM v WHERE passage IS NOT NULL),
+k AS (SELECT id, """
+    + _NORMAL % "passage"
+    + r""" AS whole, len(pieces) >= 3 AND len(list_filter(pieces, lambda x:
+        NOT regexp_matches(x, '(?s)^[^\p{L}\p{N}:=]*[\p{L}\p{N}_-]+[^\p{L}\p{N}:=]*[:=].*$'))) = 0 AS fielded,
+      array_to_string(list_sort(list_transform(pieces, lambda x: """
+    + _NORMAL % "x"
+    + """)), ' ; ') AS parts FROM f),
+l AS (SELECT whole, min(parts) AS parts FROM k WHERE fielded GROUP BY whole),
+c AS (SELECT id, coalesce(l.parts, k.whole) AS content FROM k LEFT JOIN l USING (whole) WHERE whole <> ''),
+g AS (SELECT content, min(id) AS first_id, count(*) - 1 AS copies FROM c GROUP BY content)
+"""
+)
 _COUNTS = """
 WITH v AS (SELECT passage_id, rtrim(element_key, chr(0)) AS element_key, max(element_value) AS tf FROM elements
            WHERE rtrim(element_key, chr(0)) <> '' AND element_value >= 1 AND passage_id IS NOT NULL GROUP BY ALL),
@@ -25,8 +63,15 @@ counts AS (SELECT element_key, passages, occurrences,
            CASE WHEN passages < 3 THEN 'rare' WHEN passages * 10 > n THEN 'common' END AS mark FROM c, n)
 """
 
-QUERIES = {"p5_found": p5_found, "p5_counts": p5_counts}
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_contents": p4_contents,
+    "p5_found": p5_found,
+    "p5_counts": p5_counts,
+}
 ORACLES = {
+    "p4_found": _CONTENTS + "SELECT first_id, id AS copy_id FROM c JOIN g USING (content) WHERE id <> first_id",
+    "p4_contents": _CONTENTS + "SELECT first_id, copies FROM g",
     "p5_found": _COUNTS + "SELECT element_key, mark FROM counts WHERE mark IS NOT NULL",
     "p5_counts": _COUNTS + "SELECT * FROM counts",
 }

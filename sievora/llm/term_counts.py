@@ -36,7 +36,7 @@ class _Engine:
 
     def sums(self, held: pa.Table) -> pa.Table:
         self.connection.register("held", held)
-        found = self.connection.execute(
+        found = self.connection.sql(
             "SELECT element_key, sum(passages)::BIGINT AS passages, sum(occurrences)::BIGINT AS occurrences FROM held GROUP BY element_key"
         ).to_arrow_table()
         self.connection.unregister("held")
@@ -47,7 +47,7 @@ class _Engine:
         self.connection.register("held", held)
         fanout = 1 << FANOUT_BITS
         for part in range(fanout):
-            yield part, self.connection.execute(
+            yield part, self.connection.sql(
                 f"SELECT * FROM held WHERE (hash(element_key) >> {FANOUT_BITS * level}) & {fanout - 1} = {part}"
             ).to_arrow_table().cast(SCHEMA)
         self.connection.unregister("held")
