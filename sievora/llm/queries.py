@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievora.llm.bpe import token_ids
 from sievora.llm.content import content_copies, content_groups, content_keys, normal_passages
+from sievora.llm.distinctive import contributions, most_distinctive
+from sievora.llm.item_search import documents_with_items
+from sievora.llm.near_copies import long_passages, near_copies
+from sievora.llm.reading_level import reading_bands
 from sievora.llm.term_counts import marked_terms
 from sievora.session import materialized
 from sievora.sources.tables import table, valid_passages
@@ -15,6 +20,14 @@ def _content_keys(spark: SparkSession, folder: str) -> DataFrame:
     return content_keys(materialized(normal_passages(valid).drop("passage"), "contents"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return most_distinctive(contributions(*(table(spark, folder, t) for t in ("passages", "tokens", "jumps"))))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies(materialized(long_passages(table(spark, folder, "passages")), "long"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return content_copies(_content_keys(spark, folder))
 
@@ -31,6 +44,18 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
     return marked_terms(table(spark, folder, "elements"))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_ids(table(spark, folder, "documents"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return documents_with_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading_bands(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
 # A number keeps its sign and decimal points; RE2 has no lookaround, hence the long form.
 _TOKEN = r"(?:-?\p{Nd}(?:\.\p{Nd})+|-\p{Nd}|[\p{L}\p{N}])(?:\p{Nd}(?:\.\p{Nd})+|[\p{L}\p{N}])*"
 _NORMAL = f"array_to_string(regexp_extract_all(replace(lower(%s), chr(8722), '-'), '{_TOKEN}'), ' ')"
@@ -62,16 +87,51 @@ c AS (SELECT element_key, count(*) AS passages, sum(tf)::BIGINT AS occurrences F
 counts AS (SELECT element_key, passages, occurrences,
            CASE WHEN passages < 3 THEN 'rare' WHEN passages * 10 > n THEN 'common' END AS mark FROM c, n)
 """
+_WORDS = r"regexp_extract_all(lower(%s), '[\p{L}\p{N}]+')"
+_BEST = (
+    f"WITH {_VALID},"
+    + r"""
+e AS (SELECT * FROM jumps WHERE index_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY index_id ORDER BY epoch DESC) = 1),
+t AS (SELECT index_id, token_key, max(tokens.number_of_documents) AS df FROM tokens JOIN e USING (index_id, epoch) GROUP BY ALL),
+x AS (SELECT id, index_id, unnest(regexp_extract_all(embedding, '''(?:[^'']|'''')*''[^\s'']*|\S+')) AS entry FROM v WHERE embedding IS NOT NULL),
+y AS (SELECT id, index_id, regexp_replace(entry, ':[0-9A-D,]+$', '') AS term,
+      len(string_split(regexp_extract(entry, ':([0-9A-D,]+)$', 1), ',')) AS tf FROM x),
+z AS (SELECT id, index_id, CASE WHEN term LIKE '''%''' THEN replace(term[2:-2], '''''', '''') ELSE term END AS element_key, tf FROM y),
+l AS (SELECT id, sum(tf)::BIGINT AS length FROM z GROUP BY id),
+m AS (SELECT id, CASE WHEN length < 40 THEN length ELSE least(24 + (length - 24) // (1 << (len(bin(length - 24)) - 4)) * (1 << (len(bin(length - 24)) - 4)), 2013265944) END AS qlen FROM l),
+c AS (SELECT id, element_key, round(ln((e.number_of_documents::DOUBLE + 1) / (t.df::DOUBLE + 0.5::DOUBLE)) * (tf * (k1 + 1)
+      / (tf + k1 * (1 - b + b * qlen / (e.sum_of_document_lengths::DOUBLE / e.number_of_documents)))), 6) AS c
+      FROM z JOIN m USING (id) JOIN e USING (index_id) JOIN t ON t.index_id = z.index_id AND t.token_key = z.element_key WHERE t.df IS NOT NULL)
+SELECT id, element_key FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, element_key) = 1"""
+)
+_RUNS = f"""
+WITH i AS (SELECT item_id, {_WORDS % "item_text"} AS w FROM eval_items WHERE item_text IS NOT NULL),
+d AS (SELECT doc_id, {_WORDS % "text"} AS w FROM documents WHERE text IS NOT NULL),
+ir AS (SELECT item_id, unnest([array_to_string(w[n : n + 11], ' ') FOR n IN range(1, len(w) - 10)]) AS r FROM i WHERE len(w) >= 12),
+dr AS (SELECT doc_id, unnest([array_to_string(w[n : n + 11], ' ') FOR n IN range(1, len(w) - 10)]) AS r FROM d WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)"""
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_contents": p4_contents,
     "p5_found": p5_found,
     "p5_counts": p5_counts,
+    "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p8_found": p8_found,
 }
 ORACLES = {
+    "p1_found": _BEST,
+    "p2_found": _CONTENTS
+    + f""", w AS (SELECT id, list_distinct({_WORDS % "passage"}) AS w, content FROM f JOIN c USING (id)),
+n AS (SELECT * FROM w WHERE len(w) >= 38)
+SELECT a.id AS id_a, b.id AS id_b FROM n a JOIN n b ON a.id < b.id AND a.content <> b.content
+WHERE len(list_intersect(a.w, b.w)) * 10 >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
     "p4_found": _CONTENTS + "SELECT first_id, id AS copy_id FROM c JOIN g USING (content) WHERE id <> first_id",
     "p4_contents": _CONTENTS + "SELECT first_id, copies FROM g",
     "p5_found": _COUNTS + "SELECT element_key, mark FROM counts WHERE mark IS NOT NULL",
     "p5_counts": _COUNTS + "SELECT * FROM counts",
+    "p7_found": _RUNS,
 }

@@ -1,0 +1,24 @@
+import random
+
+from sievora.llm.bpe import Bpe, byte_bpe_50k, token_ids
+
+
+def test_known_ids_null_and_empty(spark):
+    rows = [(1, "Hello world"), (2, None), (3, "")]
+    found = {r.doc_id: r.ids for r in token_ids(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: [15496, 995], 2: [], 3: []}
+
+
+def test_speculation_that_fails_is_put_right():
+    # the longest first token is "abc", but the merges make "ab" + "cd"
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"d": 3, b"cd": 4, b"ab": 5, b"abc": 6}
+    assert Bpe(ranks, ".+").encode("abcd") == [5, 4]
+
+
+def test_pieces_equal_their_merges():
+    bpe, rng = byte_bpe_50k(), random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice("abcdefghij étß語-'  \n12ABC") for _ in range(rng.randrange(1, 40)))
+        piece = text.encode()
+        assert bpe.encode_piece(text) == bpe.merged(piece)
+        assert b"".join(bpe.speculated(piece)) == piece

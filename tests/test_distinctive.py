@@ -1,0 +1,29 @@
+import pytest
+from pyspark.sql import functions as F
+
+from sievora.llm.distinctive import contributions, embedding_terms, most_distinctive, quantised_length
+
+
+def test_lengths_as_the_reference_keeps_them(spark):
+    lengths = {0: 0, 39: 39, 40: 40, 41: 40, 42: 42, 63: 60, 64: 64, 2013265944: 2013265944, 4000000000: 2013265944}
+    df = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", quantised_length(F.col("n")).alias("q"))
+    assert {r.n: r.q for r in df.collect()} == lengths
+
+
+def test_terms_of_all_forms(spark):
+    text = "b:3C,7 'a b':1 'it''s':2A,3 1.5:4 b:9 bare"
+    row = spark.createDataFrame([(text,)], "e string").select(embedding_terms(F.col("e")).alias("t")).first()
+    assert {(x.element_key, x.tf) for x in row.t} == {("b", 3), ("a b", 1), ("it's", 2), ("1.5", 1), ("bare", 0)}
+
+
+def test_epoch_ties_and_unlisted_terms(spark):
+    passages = spark.createDataFrame(
+        [(1, "b:1 a:2 new:3", 1, 1), (2, "new:1", 1, 1), (3, None, 1, 1), (4, "", 1, 1), (5, "a:1", 9, 1), (6, "a:1", 1, 1), (6, "c:1 b:2", 1, 2)],
+        "id int, embedding string, index_id int, loaded_at int",
+    )
+    tokens = spark.createDataFrame([(1, 2, "a", 3), (1, 2, "b", 3), (1, 2, "b", 3), (1, 2, "c", 1), (1, 1, "new", 1)], "index_id int, epoch int, token_key string, number_of_documents long")
+    jumps = spark.createDataFrame([(1, 1, 5, 9, 1.2, 0.75), (1, 2, 10, 30, 1.2, 0.75)], "index_id int, epoch int, number_of_documents long, sum_of_document_lengths long, k1 double, b double")
+    found = contributions(passages, tokens, jumps)
+    assert {tuple(r) for r in most_distinctive(found).collect()} == {(1, "a"), (6, "c")}
+    score = found.where("id = 1 AND element_key = 'a'").first().contribution
+    assert score == pytest.approx(1.145132, abs=1e-6)  # ln(11 / 3.5), tf 1, length 3 = avgdl

@@ -1,0 +1,18 @@
+from sievora.llm.item_search import WuManber, documents_with_items
+
+
+def test_every_run_and_every_item_is_found():
+    item = [f"w{i}" for i in range(15)]
+    search = WuManber([(1, item), (2, item[:12]), (3, item[3:])])
+    for before in range(30):
+        for start in range(4):
+            text = ["x"] * before + item[start : start + 12] + ["y"]
+            assert search.found(text) == {1} | ({2} if start == 0 else set()) | ({3} if start == 3 else set())
+    assert search.found(item[:11] + ["x"] + item[11:]) == set()
+
+
+def test_signs_and_breaks_between_words_do_not_matter(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    documents = spark.createDataFrame([(1, "So: " + words.upper().replace(" ", ",\n-- ")), (2, words[4:]), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, words + "!"), (8, "one two"), (9, None)], "item_id int, item_text string")
+    assert [tuple(r) for r in documents_with_items(documents, items).collect()] == [(1, 7)]

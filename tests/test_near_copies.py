@@ -1,0 +1,12 @@
+from sievora.llm.near_copies import long_passages, near_copies
+
+
+def test_pairs_at_the_bound_and_copies(spark):
+    shared = [f"w{i}" for i in range(35)]
+    near = " ".join(shared + [f"a{i}" for i in range(8)])
+    other = " ".join(shared + [f"b{i}" for i in range(7)])  # 35 of 50 words: exactly 0.7
+    less = " ".join(shared + [f"c{i}" for i in range(8)])  # 35 of 51 with the first
+    rows = [(1, near, 1), (2, other, 1), (3, less, 1), (4, near.upper().replace(" ", ", "), 1), (5, near, 1), (5, "short", 2), (6, None, 1), (7, " ".join(shared), 1)]
+    long = long_passages(spark.createDataFrame(rows, "id int, passage string, loaded_at int"))
+    found = {tuple(r) for r in near_copies(long).collect()}
+    assert found == {(1, 2), (2, 3), (2, 4)}

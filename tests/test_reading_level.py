@@ -1,0 +1,18 @@
+from sievora.llm.reading_level import prose, reading_bands
+
+EASY = "The cat sees the red ball at home. "
+HARD = "Notwithstanding stochastic indeterminacy, axiomatic characterisation problematises inference. "
+
+
+def test_code_logs_and_signs_are_no_prose():
+    assert prose('fn x(y: u16) -> Z { y << 3 }\n{"a": [1, 2]}\n2024-01-01 10:00:00 INFO started the search\n12 13 14\n#-=~ ~~') == []
+    assert prose(None) == []
+    assert len(prose("one " * 60)) == 3
+
+
+def test_the_band_of_most_of_the_prose(spark):
+    code = "\nkey = 1\n{ x }\n"
+    rows = [(1, EASY * 6), (2, HARD * 6), (3, EASY * 5 + code * 20 + HARD), (4, HARD * 5 + EASY * 2), (5, EASY), (6, code * 30), (7, None), (8, (HARD * 6).upper().replace(" ", "  \n"))]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 4), (2, None), (99, 2)], "doc_id long, band int")
+    assert {r.doc_id: r.band for r in reading_bands(documents, labels).collect()} == {1: 1, 2: 4, 3: 1, 4: 4, 8: 4}
