@@ -46,5 +46,10 @@ def valid_elements(elements: DataFrame, *columns: str) -> DataFrame:
 
 
 def current_epoch(jumps: DataFrame) -> DataFrame:
-    """The row of the largest epoch of each index (repeated rows count once)."""
-    return latest_rows(jumps.where("index_id IS NOT NULL"), "index_id", "epoch", [c for c in jumps.columns if c != "index_id"])
+    """(index_id, epoch): the largest epoch of each index."""
+    return jumps.where("index_id IS NOT NULL AND epoch IS NOT NULL").groupBy("index_id").agg(F.max("epoch").alias("epoch"))
+
+
+def current_jumps(jumps: DataFrame) -> DataFrame:
+    """The rows of the largest epoch of each index; rows equal in all columns count once."""
+    return jumps.join(current_epoch(jumps), ["index_id", "epoch"], "left_semi").distinct()

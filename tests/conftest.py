@@ -10,4 +10,4 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from sievora.session import local_session
 
-    return local_session(2, "tests")
+    return local_session(4, "tests", spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
