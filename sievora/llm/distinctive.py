@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievora.sources.tables import current_epoch, valid_passages
+from sievora.sources.tables import current_jumps, valid_passages
 
 #: A quoted term ('' is a quote inside it) or an unquoted one, with its positions.
 ENTRY = r"'(?:[^']|'')*'[^\s']*|\S+"
@@ -46,7 +46,7 @@ def contributions(passages: DataFrame, tokens: DataFrame, jumps: DataFrame) -> D
     the index doesn't list, or lists without a count, has no weight and gives no row. A term
     written several times in one embedding is one term.
     """
-    epochs = current_epoch(jumps)
+    epochs = current_jumps(jumps)
     now = tokens.join(epochs.select("index_id", "epoch", F.col("number_of_documents").alias("n")), ["index_id", "epoch"])
     # repeated rows count once; should one key have several counts, the largest holds
     listed = now.groupBy("index_id", F.col("token_key").alias("element_key")).agg(F.max("number_of_documents").alias("df"), F.max("n").alias("n"))
