@@ -5,19 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievora.llm.bpe import token_ids
-from sievora.llm.content import content_copies, content_groups, content_keys, normal_passages
+from sievora.llm.content import contents
 from sievora.llm.distinctive import contributions, most_distinctive
 from sievora.llm.item_search import documents_with_items
-from sievora.llm.near_copies import long_passages, near_copies
+from sievora.llm.near_copies import near_copies
 from sievora.llm.reading_level import reading_bands
 from sievora.llm.term_counts import marked_terms
-from sievora.session import materialized
-from sievora.sources.tables import table, valid_passages
-
-
-def _content_keys(spark: SparkSession, folder: str) -> DataFrame:
-    valid = valid_passages(table(spark, folder, "passages"), "passage")
-    return content_keys(materialized(normal_passages(valid).drop("passage"), "contents"))
+from sievora.sources.tables import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,15 +19,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_copies(materialized(long_passages(table(spark, folder, "passages")), "long"))
+    return near_copies(table(spark, folder, "passages"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return content_copies(_content_keys(spark, folder))
+    return contents(table(spark, folder, "passages"))[1]
 
 
 def p4_contents(spark: SparkSession, folder: str) -> DataFrame:
-    return content_groups(_content_keys(spark, folder)).select("first_id", "copies")
+    return contents(table(spark, folder, "passages"))[0]
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,19 +57,24 @@ _VALID = """
 v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) AS nth
       FROM passages WHERE id IS NOT NULL) WHERE nth = 1)"""
 _CONTENTS = (
-    f"WITH {_VALID},"
+    f"WITH RECURSIVE {_VALID},"
     + r"""
-f AS (SELECT id, passage, list_filter(regexp_split_to_array(passage, '[;|\n\r]+'), lambda x: trim(x) <> '') AS pieces
+f AS (SELECT id, passage, list_filter(regexp_split_to_array(passage, '[;|\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]')) AS pieces
       FROM v WHERE passage IS NOT NULL),
 k AS (SELECT id, """
     + _NORMAL % "passage"
     + r""" AS whole, len(pieces) >= 3 AND len(list_filter(pieces, lambda x:
-        NOT regexp_matches(x, '(?s)^[^\p{L}\p{N}:=]*[\p{L}\p{N}_-]+[^\p{L}\p{N}:=]*[:=].*$'))) = 0 AS fielded,
+        NOT regexp_matches(x, '(?s)^[^\p{L}\p{N}:=]*[\p{L}\p{N}_-]+([\p{Zs}\t]+[\p{L}\p{N}_-]+){0,3}[^\p{L}\p{N}:=]*[:=].*$'))) = 0 AS fielded,
       array_to_string(list_sort(list_transform(pieces, lambda x: """
     + _NORMAL % "x"
     + """)), ' ; ') AS parts FROM f),
-l AS (SELECT whole, min(parts) AS parts FROM k WHERE fielded GROUP BY whole),
-c AS (SELECT id, coalesce(l.parts, k.whole) AS content FROM k LEFT JOIN l USING (whole) WHERE whole <> ''),
+l AS (SELECT DISTINCT whole, parts FROM k WHERE fielded),
+several AS (SELECT whole, parts FROM l WHERE whole IN (SELECT whole FROM l GROUP BY whole HAVING count(*) > 1)),
+links AS (SELECT DISTINCT a.parts AS one, b.parts AS other FROM several a JOIN several b USING (whole)),
+reach AS (SELECT one, other FROM links UNION SELECT reach.one, links.other FROM reach JOIN links ON reach.other = links.one),
+least AS (SELECT one AS parts, min(other) AS label FROM reach GROUP BY one),
+m AS (SELECT whole, min(coalesce(label, parts)) AS parts FROM l LEFT JOIN least USING (parts) GROUP BY whole),
+c AS (SELECT id, coalesce(m.parts, k.whole) AS content FROM k LEFT JOIN m USING (whole) WHERE whole <> ''),
 g AS (SELECT content, min(id) AS first_id, count(*) - 1 AS copies FROM c GROUP BY content)
 """
 )
