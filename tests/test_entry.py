@@ -28,4 +28,7 @@ def test_a_failed_import_inside_the_package_is_an_error(monkeypatch):
 
 
 def test_the_package_itself_may_be_absent(monkeypatch):
-    assert set(load(monkeypatch, "sievora.llm").queries()) == {"p3_found", "p3_totals"}
+    entry = load(monkeypatch, "sievora.llm")
+    assert {"p3_found", "p3_totals", "search_topk"} <= set(entry.queries())
+    assert not [name for name in entry.queries() if name[:2] in ("p1", "p2", "p4", "p5", "p6", "p7", "p8")]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
