@@ -1,73 +1,155 @@
-"""The term that sets a passage apart from its index: the largest contribution to its own BM25 score."""
+"""How much each term sets a passage apart from the rest of its index.
+
+Two measures of one row: the enrichment score, from the exact hypergeometric tail, and the term's contribution to
+the passage's own ranking score. The first asks how surprising it is to draw the term so often in a passage of that
+length from all terms of the index; the second is what ranks the term in p1_found.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import math
+from collections.abc import Iterator
 
-from sievora.sources.tables import current_jumps, valid_passages
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: A quoted term ('' is a quote inside it) or an unquoted one, with its positions.
-ENTRY = r"'(?:[^']|'')*'[^\s']*|\S+"
-POSITIONS = r":([0-9]+[A-D]?(?:,[0-9]+[A-D]?)*)$"
+from sievora.functions.scoring import idf, quantised_length, saturated_tf
+from sievora.functions.vectors import positions_vector, vector_length
+from sievora.sources.tables import current_epoch, current_jumps, valid_passages
 
+#: Below it a factorial is taken from a table, above it from Stirling's series.
+TABLED = 64
+_LOG_FACTORIAL = np.array([math.lgamma(i + 1.0) for i in range(TABLED)])
+DECIMALS = 6
+SCHEMA = pa.schema([("id", pa.int32()), ("element_key", pa.string()), ("p_value", pa.float64()), ("score", pa.float64()), ("contribution", pa.float64())])
 
-def quantised_length(length: Column) -> Column:
-    """The length that the reference's one-byte fieldnorm stands for."""
-    over = length - 24
-    # the three bits after the leading one stay; written as powers since shifts take no column
-    step = F.pow(F.lit(2.0), F.length(F.bin(over)) - 4).cast("bigint")
-    return F.when(length < 40, length).otherwise(F.least(24 + over - over % step, F.lit(2013265944).cast("bigint")))
 
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln(gamma(x + 1)) of whole numbers x, vectorised; exact to about 1e-15 of its size."""
+    x = np.asarray(x, np.float64)
+    z = np.maximum(x, TABLED - 1) + 1.0
+    series = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - 1 / (1260 * z * z)) / (z * z)) / z
+    return np.where(x < TABLED, _LOG_FACTORIAL[np.clip(x, 0, TABLED - 1).astype(np.int64)], series)
 
-def embedding_terms(embedding: Column) -> Column:
-    """ARRAY<STRUCT<element_key, tf>> of the text form of a vector; tf is the number of positions."""
 
-    def entry(x: Column) -> Column:
-        positions, term = F.regexp_extract(x, POSITIONS, 1), F.regexp_replace(x, POSITIONS, "")
-        inner = F.replace(F.substr(term, F.lit(2), F.length(term) - 2), F.lit("''"), F.lit("'"))
-        tf = F.when(positions == "", 0).otherwise(F.size(F.split(positions, ",")))
-        return F.struct(
-            F.when(F.startswith(term, F.lit("'")) & F.endswith(term, F.lit("'")) & (F.length(term) > 2), inner).otherwise(term).alias("element_key"),
-            tf.cast("bigint").alias("tf"),
-        )
+def log_falling(a: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """ln(a! / (a - k)!) of whole numbers 0 <= k <= a, the difference of two log-gammas.
 
-    entries = F.transform(F.regexp_extract_all(embedding, F.lit(ENTRY), F.lit(0)), entry)
-    times = lambda k: F.aggregate(F.filter(entries, lambda x: x["element_key"] == k), F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
-    keys = F.array_distinct(F.transform(entries, lambda x: x["element_key"]))
-    merged = F.transform(keys, lambda k: F.struct(k.alias("element_key"), times(k).alias("tf")))
-    return F.when(F.size(keys) < F.size(entries), merged).otherwise(entries)
+    For a large the two nearly cancel, so their series are subtracted term by term.
+    """
+    a, k = np.broadcast_arrays(np.asarray(a, np.float64), np.asarray(k, np.float64))
+    z, w = a + 1.0, np.maximum(a - k, TABLED - 1) + 1.0
+    stirling = lambda y: (1 / 12 - (1 / 360 - 1 / (1260 * y * y)) / (y * y)) / y
+    # (z - 1/2) ln z - z - (w - 1/2) ln w + w, with z - w = k and ln w = ln z + ln(1 - k / z)
+    large = k * np.log(z) - (w - 0.5) * np.log1p(-np.minimum(k, z - w) / z) - k + stirling(z) - stirling(w)
+    return np.where(a - k < TABLED, log_gamma(a) - log_gamma(a - k), large)
 
 
-def contributions(passages: DataFrame, tokens: DataFrame, jumps: DataFrame) -> DataFrame:
-    """(id, element_key, contribution) of each term of the valid passages that its index lists.
+def log_upper_tail(tf: np.ndarray, length: np.ndarray, marked: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """ln P(X >= tf) for X the marked ones among `length` drawn from `total` of which `marked` are marked.
 
-    The contribution (SURVEY 1.5) is rounded to 6 decimals. A term that the current epoch of
-    the index doesn't list, or lists without a count, has no weight and gives no row. A term
-    written several times in one embedding is one term.
+    The first term comes from log-gammas, each next one from the ratio of neighbours; they are summed until
+    the rest is below what a double can tell, or all are summed.
+    """
+    k, n, m, t = (np.asarray(x, np.float64) for x in (tf, length, marked, total))
+    low = np.maximum(k, np.maximum(0.0, n + m - t))
+    high = np.minimum(n, m)
+    possible = low <= high
+    i = np.where(possible, low, high)
+    # C(m, i) C(t - m, n - i) / C(t, n)
+    first = log_falling(m, i) - log_gamma(i) + log_falling(t - m, n - i) - log_gamma(n - i) - log_falling(t, n) + log_gamma(n)
+    sums, term, shift = np.ones_like(first), np.ones_like(first), np.zeros_like(first)
+    at, running = i.copy(), np.flatnonzero(possible & (i < high))
+    while len(running):
+        x = at[running]
+        ratio = (m[running] - x) * (n[running] - x) / ((x + 1.0) * (t[running] - m[running] - n[running] + x + 1.0))
+        term[running] *= ratio
+        sums[running] += term[running]
+        at[running] += 1.0
+        big = running[sums[running] > 1e200]
+        if len(big):  # terms that first grow are scaled down
+            shift[big] += np.log(sums[big])
+            term[big] /= sums[big]
+            sums[big] = 1.0
+        # behind the mode each term is less than ratio times the one before, so a geometric series bounds the rest
+        with np.errstate(over="ignore"):
+            rest = np.where(ratio < 1.0, term[running] * ratio / np.maximum(1.0 - ratio, 1e-300), np.inf)
+        running = running[(rest > 1e-17 * sums[running]) & (at[running] < high[running])]
+    tail = np.minimum(first + np.log(sums) + shift, 0.0)
+    # not a count that can occur: there are more than all marked ones
+    return np.where(k <= np.maximum(0.0, n + m - t), 0.0, np.where(possible, tail, -np.inf))
+
+
+def adjusted(log_p: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Benjamini and Hochberg's adjustment within each group, on logarithms; group holds 0, 0, 1, 1, 1, ... in order."""
+    if not len(log_p):
+        return log_p
+    order = np.lexsort((log_p, group))
+    starts = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+    sizes = np.diff(np.r_[starts, len(group)])
+    place = np.arange(len(group)) - np.repeat(starts, sizes) + 1
+    value = log_p[order] + np.log(np.repeat(sizes, sizes) / place)
+    # least value from each place on: from the end, a running minimum that starts anew with each group
+    backward, shift = value[::-1], np.repeat(np.arange(len(sizes)), sizes)[::-1]
+    ranks = np.argsort(np.argsort(backward, kind="stable"), kind="stable")
+    # groups come in falling order from the end; a large step a group keeps earlier groups out of the minimum
+    least = np.minimum.accumulate(ranks + shift * len(group))
+    kept = np.sort(backward, kind="stable")[least - shift * len(group)][::-1]
+    out = np.empty_like(log_p)
+    out[order] = np.minimum(kept, 0.0)
+    return out
+
+
+def _enriched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of all listed terms of a passage at once. A batch holds whole passages."""
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        found = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+        column = lambda name: found.field(name)
+        number = lambda name: column(name).to_numpy(zero_copy_only=False).astype(np.float64)
+        group = np.repeat(np.arange(len(ids)), np.diff(offsets))
+        tf, length, df, total = number("tf"), number("length"), number("df"), number("total")
+        # of every other passage that holds it the term has one occurrence at least
+        marked = df + np.maximum(tf, 1.0) - 1.0
+        log_p = log_upper_tail(tf, length, marked, np.maximum(total, np.maximum(length, marked)))
+        score = np.round(-adjusted(log_p, group) / math.log(10), DECIMALS) + 0.0
+        columns = [ids.take(pa.array(group)), column("element_key"), pa.array(np.exp(log_p)), pa.array(score), column("contribution")]
+        yield pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
+
+
+def distinctive_terms(passages: DataFrame, tokens: DataFrame, jumps: DataFrame) -> DataFrame:
+    """(id, element_key, p_value, score, contribution) of each term of the valid passages that its index lists.
+
+    p_value: the probability of at least as many occurrences of the term among as many draws as the passage is long,
+    from sum_of_document_lengths occurrences of which the term has number_of_documents + tf - 1, what is sure to
+    exist. score: its negative decimal logarithm after the false discovery adjustment over the passage's
+    terms. contribution: the term's part in the ranking score of the passage, rounded to 6 decimals.
+
+    A term that the current epoch of the index doesn't list, or lists without a count, gives no row; of several counts
+    of one key the largest holds. A term written several times in one embedding is one term. Null and empty
+    embeddings and passages of an index without a current epoch give no row; neither do empty tables.
     """
-    epochs = current_jumps(jumps)
-    now = tokens.join(epochs.select("index_id", "epoch", F.col("number_of_documents").alias("n")), ["index_id", "epoch"])
-    # repeated rows count once; should one key have several counts, the largest holds
-    listed = now.groupBy("index_id", F.col("token_key").alias("element_key")).agg(F.max("number_of_documents").alias("df"), F.max("n").alias("n"))
-    idf = listed.where("df IS NOT NULL").select("index_id", "element_key", F.log((F.col("n") + F.lit(1.0)) / (F.col("df") + F.lit(0.5))).alias("idf"))
-
-    average = F.try_divide(F.col("sum_of_document_lengths").cast("double"), F.col("number_of_documents").cast("double"))
-    options = epochs.select("index_id", "k1", "b", average.alias("avgdl"))
+    now = tokens.join(current_epoch(jumps), ["index_id", "epoch"], "left_semi")
+    listed = now.groupBy("index_id", F.col("token_key").alias("element_key")).agg(F.max("number_of_documents").alias("df")).where("df IS NOT NULL")
+    of_index = current_jumps(jumps).groupBy("index_id").agg(*[F.max(c).alias(c) for c in ("number_of_documents", "sum_of_document_lengths", "k1", "b")])
+    n, total = F.col("number_of_documents"), F.col("sum_of_document_lengths")
+    options = of_index.select("index_id", n.alias("n"), total.alias("total"), "k1", "b", F.try_divide(total.cast("double"), n.cast("double")).alias("avgdl"))
+
     valid = valid_passages(passages, "embedding", "index_id").where("embedding IS NOT NULL")
-    parsed = valid.select("id", "index_id", embedding_terms(F.col("embedding")).alias("terms"))
-    total = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"])
-    joined = parsed.withColumn("length", quantised_length(total)).join(options, "index_id")
-    norm = F.col("k1") * (F.lit(1.0) - F.col("b") + F.col("b") * F.try_divide(F.col("length").cast("double"), F.col("avgdl")))
-    each = joined.select("id", "index_id", "k1", norm.alias("norm"), F.explode("terms").alias("t"))
-    tf = F.when(F.col("t.tf") == 0, F.lit(0.0)).otherwise(F.col("t.tf") * (F.col("k1") + 1.0) / (F.col("t.tf") + F.col("norm")))
-    weights = each.select("id", "index_id", "t.element_key", tf.alias("weight"))
-    return weights.join(idf, ["index_id", "element_key"]).select(
-        "id", "element_key", F.round(F.col("idf") * F.col("weight"), 6).alias("contribution")
-    )
-
-
-def most_distinctive(contributed: DataFrame) -> DataFrame:
-    """(id, element_key): of each id the term with the largest contribution, of equal ones the smallest key."""
-    best = contributed.groupBy("id").agg(F.min(F.struct((-F.col("contribution")).alias("c"), "element_key")).alias("best"))
+    parsed = valid.select("id", "index_id", positions_vector(F.col("embedding")).alias("terms")).withColumn("length", vector_length(F.col("terms")))
+    each = parsed.select("id", "index_id", "length", F.inline("terms")).withColumnRenamed("term", "element_key")
+    known = each.join(listed, ["index_id", "element_key"]).join(options, "index_id")
+    weight = idf(F.col("n"), F.col("df")) * saturated_tf(F.col("tf"), quantised_length(F.col("length")), F.col("avgdl"), F.col("k1"), F.col("b"))
+    fields = "element_key", "tf", "length", "df", "total", F.round(weight, DECIMALS).alias("contribution")
+    # a passage has no more rows than its own text has terms
+    records = known.select("id", F.struct(*fields).alias("t")).groupBy("id").agg(F.collect_list("t").alias("terms"))
+    return records.select(F.col("id").cast("int"), "terms").mapInArrow(_enriched, "id int, element_key string, p_value double, score double, contribution double")
+
+
+def most_distinctive(found: DataFrame) -> DataFrame:
+    """(id, element_key): of each id the term with the largest contribution, of equal ones the smallest key in byte order."""
+    best = found.groupBy("id").agg(F.min(F.struct((-F.col("contribution")).alias("c"), "element_key")).alias("best"))
     return best.select("id", "best.element_key")

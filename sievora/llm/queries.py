@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievora.llm.bpe import token_ids
 from sievora.llm.content import contents
-from sievora.llm.distinctive import contributions, most_distinctive
+from sievora.llm.distinctive import distinctive_terms, most_distinctive
 from sievora.llm.item_search import documents_with_items
 from sievora.llm.near_copies import near_copies
 from sievora.llm.reading_level import reading_bands
@@ -14,8 +14,12 @@ from sievora.llm.term_counts import marked_terms
 from sievora.sources.tables import table
 
 
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return distinctive_terms(*(table(spark, folder, t) for t in ("passages", "tokens", "jumps")))
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return most_distinctive(contributions(*(table(spark, folder, t) for t in ("passages", "tokens", "jumps"))))
+    return most_distinctive(p1_scores(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,6 +116,7 @@ SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)"""
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_scores": p1_scores,
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_contents": p4_contents,
