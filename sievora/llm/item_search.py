@@ -7,7 +7,8 @@ window itself is looked up.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from sievora.functions.words import words
 
 RUN = 12
+#: Words of the items that a task holds at once.
+BLOCK_WORDS = 200_000
 
 
 class WuManber:
@@ -64,13 +67,33 @@ def _task(search: WuManber) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def documents_with_items(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+def item_blocks(items: Iterable[tuple[int, list[str]]], run: int = RUN, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
+    """Items in blocks of at most `most` words; a longer item is cut into parts that overlap by run - 1 words, so no run is lost."""
+    block: list[tuple[int, list[str]]] = []
+    held = 0
+    for item_id, item in items:
+        for start in range(0, len(item) - run + 1, most - run + 1):
+            part = item[start : start + most]
+            if block and held + len(part) > most:
+                yield block
+                block, held = [], 0
+            block.append((item_id, part))
+            held += len(part)
+    if block:
+        yield block
+
+
+def documents_with_items(documents: DataFrame, items: DataFrame, run: int = RUN, most: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id): the documents that contain at least `run` consecutive words of an item.
 
-    The items, a held-out set of fixed size, are collected and sent to every task; documents
-    are streamed. Null texts and items of fewer words give no row.
+    The items come to the driver one by one and go to the tasks in blocks of at most `most` words, each searched for
+    in a pass over the documents, so what is sent at once is bounded however many items there are. Null texts
+    and items of fewer words give no row; repeated rows count once; further columns are not read.
     """
-    of_items = items.where("item_text IS NOT NULL").select("item_id", words(F.col("item_text")).alias("words"))
-    search = WuManber([(row.item_id, row.words) for row in of_items.where(F.size("words") >= run).collect()], run)
     texts = documents.where("text IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.array_join(words(F.col("text")), " ").alias("words"))
-    return texts.mapInArrow(_task(search), "doc_id bigint, item_id int").distinct()
+    of_items = items.where("item_text IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("int"), words(F.col("item_text")).alias("words"))
+    rows = ((row.item_id, row.words) for row in of_items.where(F.size("words") >= run).toLocalIterator())
+    found = [texts.mapInArrow(_task(WuManber(block, run)), "doc_id bigint, item_id int") for block in item_blocks(rows, run, most)]
+    if not found:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, item_id int")
+    return functools.reduce(DataFrame.unionByName, found).distinct()
