@@ -23,7 +23,10 @@ from sievora.sources.tables import current_epoch, current_jumps, valid_passages
 TABLED = 64
 _LOG_FACTORIAL = np.array([math.lgamma(i + 1.0) for i in range(TABLED)])
 DECIMALS = 6
-SCHEMA = pa.schema([("id", pa.int32()), ("element_key", pa.string()), ("p_value", pa.float64()), ("score", pa.float64()), ("contribution", pa.float64())])
+#: Largest vocabulary, in bytes, that is sent to every task.
+MOST_BROADCAST = 32 << 20
+SCHEMA = "id int, element_key string, p_value double, score double, tf bigint, df bigint, length bigint, n bigint, avgdl double, k1 double, b double"
+NAMES = [field.split()[0] for field in SCHEMA.split(", ")]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -103,24 +106,24 @@ def adjusted(log_p: np.ndarray, group: np.ndarray) -> np.ndarray:
 
 
 def _enriched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Scores of all listed terms of a passage at once. A batch holds whole passages."""
+    """Scores of all listed terms of a passage at once; a batch holds whole passages, one a row."""
     for batch in batches:
-        ids, lists = batch.column(0), batch.column(1)
+        lists = batch.column(1)
         offsets = lists.offsets.to_numpy().astype(np.int64)
         found = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
-        column = lambda name: found.field(name)
-        number = lambda name: column(name).to_numpy(zero_copy_only=False).astype(np.float64)
-        group = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        tf, length, df, total = number("tf"), number("length"), number("df"), number("total")
-        # of every other passage that holds it the term has one occurrence at least
+        group = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        of_passage = [column.take(pa.array(group)) for column in (batch.column(0), *batch.columns[2:])]
+        of_term = [found.field(name) for name in ("element_key", "tf", "df")]
+        tf, df, length, total = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (*of_term[1:], *of_passage[1:3]))
+        # every other passage that holds the term has it once at least
         marked = df + np.maximum(tf, 1.0) - 1.0
         log_p = log_upper_tail(tf, length, marked, np.maximum(total, np.maximum(length, marked)))
         score = np.round(-adjusted(log_p, group) / math.log(10), DECIMALS) + 0.0
-        columns = [ids.take(pa.array(group)), column("element_key"), pa.array(np.exp(log_p)), pa.array(score), column("contribution")]
-        yield pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
+        columns = [of_passage[0], of_term[0], pa.array(np.exp(log_p)), pa.array(score), *of_term[1:], of_passage[1], *of_passage[3:]]
+        yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
 
-def distinctive_terms(passages: DataFrame, tokens: DataFrame, jumps: DataFrame) -> DataFrame:
+def distinctive_terms(passages: DataFrame, tokens: DataFrame, jumps: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(id, element_key, p_value, score, contribution) of each term of the valid passages that its index lists.
 
     p_value: the probability of at least as many occurrences of the term among as many draws as the passage is long,
@@ -130,7 +133,8 @@ def distinctive_terms(passages: DataFrame, tokens: DataFrame, jumps: DataFrame)
 
     A term that the current epoch of the index doesn't list, or lists without a count, gives no row; of several counts
     of one key the largest holds. A term written several times in one embedding is one term. Null and empty
-    embeddings and passages of an index without a current epoch give no row; neither do empty tables.
+    embeddings and passages of an index without a current epoch give no row; neither do empty tables. The size of the
+    vocabulary is read when called, to choose the join; the rows are the same either way.
     """
     now = tokens.join(current_epoch(jumps), ["index_id", "epoch"], "left_semi")
     listed = now.groupBy("index_id", F.col("token_key").alias("element_key")).agg(F.max("number_of_documents").alias("df")).where("df IS NOT NULL")
@@ -141,12 +145,14 @@ def distinctive_terms(passages: DataFrame, tokens: DataFrame, jumps: DataFrame)
     valid = valid_passages(passages, "embedding", "index_id").where("embedding IS NOT NULL")
     parsed = valid.select("id", "index_id", positions_vector(F.col("embedding")).alias("terms")).withColumn("length", vector_length(F.col("terms")))
     each = parsed.select("id", "index_id", "length", F.inline("terms")).withColumnRenamed("term", "element_key")
-    known = each.join(listed, ["index_id", "element_key"]).join(options, "index_id")
+    # a broadcast vocabulary leaves the terms of a passage where they are; a large one is joined by shuffles
+    small = tokens.select(F.coalesce(F.sum(F.octet_length("token_key") + 64), F.lit(0)).alias("n")).first().n <= most_broadcast
+    known = each.join(F.broadcast(listed) if small else listed, ["index_id", "element_key"])
+    # a passage has no more rows than its own text has terms; what belongs to the passage is kept once
+    records = known.groupBy("id", "index_id", "length").agg(F.collect_list(F.struct("element_key", "tf", "df")).alias("terms"))
+    scored = records.join(options, "index_id").select(F.col("id").cast("int"), "terms", "length", "total", "n", "avgdl", "k1", "b").mapInArrow(_enriched, SCHEMA)
     weight = idf(F.col("n"), F.col("df")) * saturated_tf(F.col("tf"), quantised_length(F.col("length")), F.col("avgdl"), F.col("k1"), F.col("b"))
-    fields = "element_key", "tf", "length", "df", "total", F.round(weight, DECIMALS).alias("contribution")
-    # a passage has no more rows than its own text has terms
-    records = known.select("id", F.struct(*fields).alias("t")).groupBy("id").agg(F.collect_list("t").alias("terms"))
-    return records.select(F.col("id").cast("int"), "terms").mapInArrow(_enriched, "id int, element_key string, p_value double, score double, contribution double")
+    return scored.select("id", "element_key", "p_value", "score", F.round(weight, DECIMALS).alias("contribution"))
 
 
 def most_distinctive(found: DataFrame) -> DataFrame:

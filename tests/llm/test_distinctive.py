@@ -67,6 +67,8 @@ def test_epoch_ties_and_unlisted_terms(spark):
     p = [tail(1, 2, m, 30) for m in (1, 3)]
     assert rows[6, "c"].score == pytest.approx(-math.log10(min(p[0][0] / p[0][1] * 2, p[1][0] / p[1][1])), abs=1e-6)
     assert len(rows) == 5
+    shuffled = distinctive_terms(passages, tokens, jumps, most_broadcast=0)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, found.collect()))
     assert most_distinctive(distinctive_terms(passages.limit(0), tokens.limit(0), jumps.limit(0))).isEmpty()
 
 
