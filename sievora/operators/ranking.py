@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sievora.functions.scoring import idf, quantised_length, saturated_tf
 from sievora.functions.vectors import analyser, ids_vector, positions_vector, vector_length
+from sievora.functions.words import WORD
 from sievora.operators import postings as P
 from sievora.operators.skew import MAX_HEAVY, salted_join
 from sievora.plans.options import LARGEST_LIMIT, IndexOptions, scan_enabled, search_limit, search_prefilter
@@ -28,6 +29,9 @@ FORMAT = 1
 DECIMALS = 6
 #: Queries of more distinct terms than this are joined, not broadcast.
 FEW_TERMS = 10_000
+#: Most blocks of a query's terms that are sent to every task, and the slack that rounding of scores asks for.
+MOST_BLOCKS, SLACK = 500_000, 2e-6
+WORD_SQL = WORD.replace("\\", "\\\\")
 VECTOR = "array<struct<term:string,tf:bigint>>"
 
 
@@ -69,6 +73,7 @@ class RankedIndex:
         self.postings: DataFrame
         self.terms: DataFrame
         self.stats: DataFrame
+        self.blocks: DataFrame | None = None  # with a path only
         self.growing: DataFrame | None = None  # doc_id, qlen, len, term, tf of inserted documents; a null term for one without any
         self.dead: DataFrame | None = None
         self.epoch, self.version, self.batch = 0, 0, 0
@@ -136,7 +141,7 @@ class RankedIndex:
 
     def _open(self) -> None:
         read, root = self.spark.read, f"{self.path}/{self.folder}"
-        self.documents, self.postings, self.terms = (read.parquet(f"{root}/{t}") for t in ("documents", "postings", "terms"))
+        self.documents, self.postings, self.terms, self.blocks = (read.parquet(f"{root}/{t}") for t in ("documents", "postings", "terms", "blocks"))
         n, total = self._numbers
         self.stats = self.spark.sql(f"SELECT {n}L AS n, {total}L AS sum_len, try_divide({total}D, {n}D) AS avgdl")
         self.growing = read.parquet(*[f"{root}/{x}" for x in self.inserted]) if self.inserted else None
@@ -281,25 +286,50 @@ class RankedIndex:
         k1, b = F.lit(self.options.k1), F.lit(self.options.b)
         return F.col("idf") * saturated_tf(F.col("tf"), F.col("qlen"), F.col("avgdl"), k1, b)
 
-    def _hits(self, terms: tuple[str, ...]) -> DataFrame:
-        """(doc_id, qlen, tf, idf, avgdl): the postings, alive, of the query's terms. term IN (...) reaches the scan."""
+    def _hits(self, terms: tuple[str, ...], best: int | None = None) -> DataFrame:
+        """(doc_id, qlen, tf, idf, avgdl): the postings, alive, of the query's terms. term IN (...) reaches the scan.
+
+        With best, postings of blocks that can't hold one of so many best documents are left out.
+        """
         wanted = F.col("term").isin(list(terms)) if terms else F.lit(False)
-        rows = self._alive(self.postings.where(wanted).select("doc_id", "qlen", "term", "tf"))
+        rows = self.postings.where(wanted)
+        if best is not None:
+            rows = self._promising(rows, wanted, best)
+        rows = self._alive(rows.select("doc_id", "qlen", "term", "tf"))
         if self.growing is not None:
             rows = rows.unionByName(self._alive(self.growing.where(wanted)).select("doc_id", "qlen", "term", "tf"))
         weights = self._weights(wanted)
         # no more rows than the query has terms
         return rows.join(F.broadcast(weights) if len(terms) <= FEW_TERMS else weights, "term")
 
-    def scores(self, query: RankedQuery) -> DataFrame:
-        """(doc_id, score) of every live document with a term of the query; score is the sum negated, so below 0."""
+    def _promising(self, rows: DataFrame, wanted: Column, best: int) -> DataFrame:
+        """rows of the blocks whose bound, with the bounds of all other terms, reaches the score that is sure.
+
+        Sure is the `best`-th part score of documents of the blocks with the highest bounds: as many documents have
+        that score at least. A document of a block below has less, whatever its other terms, so its rows don't matter.
+        """
+        weights = F.broadcast(self._weights(wanted))
+        bounds = self.blocks.where(wanted).join(weights, "term").select("term", "block_no", (F.col("idf") * F.col("ub_tf")).alias("bound"))
+        tops = self.terms.where(wanted).join(weights, "term").select("term", (F.col("idf") * F.col("ub_tf")).alias("top"))
+        first = bounds.orderBy(F.desc("bound"), "term", "block_no").limit(2 * -(-best // P.BLOCK) + 2).select("term", "block_no")
+        parts = self._alive(rows.join(F.broadcast(first), ["term", "block_no"])).join(weights, "term").groupBy("doc_id").agg(F.max(self._weight()).alias("part"))
+        ranked = parts.orderBy(F.desc("part")).limit(best).agg(F.when(F.count(F.lit(1)) == best, F.min("part")).otherwise(F.lit(0.0)))
+        others = tops.agg(F.sum("top")).scalar() - F.col("top")
+        kept = bounds.join(F.broadcast(tops), "term").where(F.col("bound") + others >= ranked.scalar() - SLACK)
+        return rows.join(F.broadcast(kept.select("term", "block_no")), ["term", "block_no"], "left_semi")  # MOST_BLOCKS at most, see search
+
+    def scores(self, query: RankedQuery, best: int | None = None) -> DataFrame:
+        """(doc_id, score) of every live document with a term of the query; score is the sum negated, so below 0.
+
+        With best, documents beyond so many best ones may be missing or have a part of their score only.
+        """
         self._check(query)
-        hits = self._hits(query.terms or ())
+        hits = self._hits(query.terms or (), best)
         sums = hits.groupBy("doc_id").agg(F.round(-F.sum(self._weight()), DECIMALS).alias("score"))
         return sums.where("score < 0")
 
     def search(
-        self, query: RankedQuery, limit: int | None = None, predicate: str | None = None, rows: DataFrame | None = None, prefilter: bool | None = None
+        self, query: RankedQuery, limit: int | None = None, predicate: str | None = None, rows: DataFrame | None = None, prefilter: bool | None = None, prune: bool = False
     ) -> DataFrame:
         """(doc_id, score) of the best documents, in order; only those with a term of the query.
 
@@ -307,6 +337,9 @@ class RankedIndex:
         query. predicate, a condition on `rows` (which has the index's id column), applies to what was
         found, or with prefilter before the best are taken; null is false. Where the setting enable_scan
         is off, the documents are evaluated one and all, so documents without any term are found too.
+
+        prune skips blocks of postings that can't reach the result, which stays the same. It needs an index with a path and
+        no filter before the best, reads the number of blocks first, and is left alone where they are too many to broadcast.
         """
         self._check(query)
         id_col = self.source["id"]
@@ -321,8 +354,9 @@ class RankedIndex:
         if most == 0:
             raise ValueError("number of needed rows is set to 0")
         first = search_prefilter(self.spark, self.options) if prefilter is None else prefilter
-        found = self.scores(query)
-        if allowed is not None and first:
+        inner = allowed is not None and first
+        found = self.scores(query, most if prune and not inner and self._prunable(query) else None)
+        if inner:
             found = found.join(allowed, "doc_id", "left_semi")
         found = found.orderBy("score", "doc_id").limit(most)
         if allowed is not None and not first:
@@ -330,6 +364,50 @@ class RankedIndex:
         found = found.orderBy("score", "doc_id")
         return found if limit is None else found.limit(limit)
 
+    def _prunable(self, query: RankedQuery) -> bool:
+        if not self.path or not query.terms:
+            return False
+        wanted = self.terms.where(F.col("term").isin(list(query.terms)))
+        return (wanted.agg(F.sum(F.ceil(F.col("df") / P.BLOCK))).first()[0] or 0) <= MOST_BLOCKS
+
+    def lookup(self, terms: Iterable[str]) -> DataFrame:
+        """(term, df, idf) of those of the terms that the vocabulary has."""
+        listed = list(terms)
+        found = self.terms.where(F.col("term").isin(listed) if listed else F.lit(False))
+        return found.select("term", "df", idf(self.stats.select("n").scalar(), F.col("df")).alias("idf"))
+
+    def term_postings(self, term: str) -> DataFrame:
+        """(doc_id, tf, qlen) of one term's sealed postings; with a path only the row groups of that term are read."""
+        return self.postings.where(F.col("term") == term).select("doc_id", "tf", "qlen")
+
+    def fetch(self, found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+        """found with columns of the source rows of its documents; what isn't in rows any more drops out."""
+        source = rows.select(F.col(self.source["id"]).cast("bigint").alias("doc_id"), *columns)
+        return found.join(source, "doc_id")
+
+    def register(self, prefix: str | None = None) -> str:
+        """Make the index available to spark.sql: the table function <prefix>_search(text, k) -> (doc_id, score, rank).
+
+        It counts a term of the text once, reads the index as it is now, and can be called for each row of a query (LATERAL).
+        """
+        p = prefix or self.name
+        split = self.source["analysis"]
+        if split != "simple":
+            raise ValueError("only the analyser simple can be called from SQL")
+        documents, rows = self._all_rows()
+        rows.createOrReplaceTempView(f"{p}_postings")
+        self._weights().createOrReplaceTempView(f"{p}_weights")
+        k1, b = self.options.k1, self.options.b
+        weight = f"idf * tf * ({k1}D + 1D) / (tf + {k1}D * (1D - {b}D + {b}D * qlen / avgdl))"
+        self.spark.sql(
+            f"""CREATE OR REPLACE TEMPORARY FUNCTION {p}_search(query STRING, k INT) RETURNS TABLE (doc_id BIGINT, score DOUBLE, rank INT) RETURN
+            SELECT doc_id, score, rank FROM (SELECT doc_id, score, row_number() OVER (ORDER BY score, doc_id) AS rank FROM (
+                SELECT doc_id, round(-sum({weight}), {DECIMALS}) AS score
+                FROM {p}_postings JOIN {p}_weights USING (term)
+                WHERE array_contains(regexp_extract_all(lower({p}_search.query), '{WORD_SQL}', 0), term) GROUP BY doc_id)) WHERE rank <= {p}_search.k"""
+        )
+        return f"{p}_search"
+
     def _alive_scores(self, query: RankedQuery) -> DataFrame:
         documents, _ = self._all_rows()
         return documents.select("doc_id").join(self.scores(query), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))

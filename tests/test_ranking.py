@@ -254,3 +254,31 @@ def test_analysers(spark):
         vectors.drop_analyser("comma")
     with pytest.raises(ValueError, match="no analyser"):
         vectors.analyser("comma")
+
+
+def test_pruned_search_finds_the_same(spark):
+    rng, vocabulary = random.Random(9), [f"t{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choice(vocabulary[: 1 + rng.randrange(12)]) for _ in range(rng.randrange(1, 60)))) for i in range(3000)]
+    docs += [(5000, "t11 t11 t11 t11"), (5001, "t10 t10 t10")]
+    docs += [(10_000 + i, "hot " + "t1 " * (i // 50)) for i in range(2000)]  # the best ones lie together
+    df = spark.createDataFrame(docs, "id long, text string")
+    index = RankedIndex.build(df, "id", "text", "p", limit=15, path=f"{work_folder(spark)}/pruned")
+    index.insert(spark.createDataFrame([(9000, "t11 t11 t3"), (9001, "t1")], "id long, text string"))
+    index.delete(spark.createDataFrame([(5000,), (docs[7][0],)], "id long"))
+    for terms in (["t11"], ["hot"], ["hot", "t11"], ["t0", "t11"], ["t3", "t7", "t10", "none"], ["none"], []):
+        query = index.query_terms(terms)
+        assert index.search(query, prune=True).collect() == index.search(query).collect()
+    assert index._hits(("hot",)).count() == 2000 and index._hits(("hot",), 15).count() == 128
+
+
+def test_lookups_and_sql(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (2, "b b c", "y"), (3, None, "z")], "id long, text string, doc_name string")
+    index = RankedIndex.build(df, "id", "text", "look", limit=5, path=f"{work_folder(spark)}/look")
+    assert [(r.term, r.df) for r in index.lookup(["b", "zz", "b"]).collect()] == [("b", 2)]
+    assert sorted(tuple(r) for r in index.term_postings("b").collect()) == [(1, 1, 2), (2, 2, 3)]
+    found = index.search(index.query("b"))
+    assert {(r.doc_id, r.doc_name) for r in index.fetch(found, df.where("id <> 1"), "doc_name").collect()} == {(2, "y")}
+    name = index.register("look")
+    assert [(r.doc_id, r.score) for r in spark.sql(f"SELECT * FROM {name}('B b', 5) ORDER BY rank").collect()] == [tuple(r) for r in found.collect()]
+    lateral = spark.sql(f"SELECT q, doc_id FROM VALUES ('a'), ('c') AS t(q), LATERAL {name}(q, 1)").collect()
+    assert {tuple(r) for r in lateral} == {("a", 1), ("c", 2)}
