@@ -39,6 +39,8 @@ PRIOR = 200
 CHUNK, LONG = 25, 60
 #: Highest classes of letters a word and of words a stretch (by fours).
 LETTERS, LENGTHS = 12, 8
+#: Marks of one word in angle brackets, as of markup or of dialogues; they are signs, not code.
+_MARK = re.compile(r"</?\w+/?>|<\|\w*\|>")
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[.!?…])\s+|[\n\r\x0b\x0c\x85\u2028\u2029]+")
 _CODE = re.compile(r"[{}<>|=]|^\s*(?:SELECT|INSERT|UPDATE|DELETE)\b.*;\s*$|\w\(\w*\)|\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d")
@@ -59,7 +61,7 @@ def prose(text: str | None) -> list[list[str]]:
     if not text.isascii():
         text = _format_signs().sub("", text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text))
     stretches = []
-    for part in _BREAK.split(text):
+    for part in _BREAK.split(_MARK.sub(" ", text)):
         found = _WORD.findall(part.lower())
         letters = [w for w in found if w.isalpha()]
         if letters and len(letters) >= 0.7 * len(found) and not (len(found) < LONG and _CODE.search(part)) and sum(map(len, letters)) >= 0.6 * len("".join(part.split())):

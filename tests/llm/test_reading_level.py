@@ -15,6 +15,7 @@ def test_code_logs_and_signs_are_no_prose():
     assert prose(None) == prose("") == prose(" \n ") == []
     assert len(prose("one " * 60)) == 3
     assert prose("Der H\u00adund") == prose("Der Hund")
+    assert prose("<|end|> We see <b>it</b>.") == [["we", "see", "it"]]
 
 
 def test_coverage_is_the_smallest_top_of_the_list():
