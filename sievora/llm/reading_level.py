@@ -44,14 +44,17 @@ _MARK = re.compile(r"</?\w+/?>|<\|\w*\|>")
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[.!?…])\s+|[\n\r\x0b\x0c\x85\u2028\u2029]+")
 _CODE = re.compile(r"[{}<>|=]|^\s*(?:SELECT|INSERT|UPDATE|DELETE)\b.*;\s*$|\w\(\w*\)|\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d")
+#: Whatever _CODE finds holds one of these.
+_SIGNS = frozenset("{}<>|=;(-:")
+_SPACE = re.compile(r"\s+")
 
 Ranks = dict[str, tuple[int, ...]]
 
 
 @functools.cache
-def _format_signs() -> re.Pattern[str]:
+def _format_signs() -> frozenset[str]:
     """All characters of the category Cf, which have no width."""
-    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf") + "]")
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) == "Cf")
 
 
 def prose(text: str | None) -> list[list[str]]:
@@ -59,12 +62,16 @@ def prose(text: str | None) -> list[list[str]]:
     if not text:
         return []
     if not text.isascii():
-        text = _format_signs().sub("", text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text))
+        text = text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+        if not _format_signs().isdisjoint(text):
+            text = "".join(c for c in text if c not in _format_signs())
     stretches = []
     for part in _BREAK.split(_MARK.sub(" ", text)):
         found = _WORD.findall(part.lower())
         letters = [w for w in found if w.isalpha()]
-        if letters and len(letters) >= 0.7 * len(found) and not (len(found) < LONG and _CODE.search(part)) and sum(map(len, letters)) >= 0.6 * len("".join(part.split())):
+        if not letters or len(letters) < 0.7 * len(found) or sum(map(len, letters)) < 0.6 * (len(part) - sum(map(len, _SPACE.findall(part)))):
+            continue
+        if len(found) >= LONG or _SIGNS.isdisjoint(part) or not _CODE.search(part):
             stretches += [letters[i : i + CHUNK] for i in range(0, len(letters), CHUNK)]
     return stretches
 
