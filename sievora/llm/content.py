@@ -77,7 +77,7 @@ def fingerprints(passages: DataFrame) -> DataFrame:
     return latest_rows(hashed, "id", "loaded_at", ["loaded_at", "sequence", "multiset"]).where("sequence IS NOT NULL")
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def smallest_linked(edges: DataFrame) -> DataFrame:
     """(a, first): of each left node of a bipartite graph (a, b) the smallest left node of its component.
 
     Each round hands the smallest label over and back; only edges and labels in the shared folder take
@@ -109,7 +109,7 @@ def _sequence_groups(rows: DataFrame) -> DataFrame:
         return sequences.join(labels, "sequence", "left").select("sequence", F.coalesce("first", "a").alias("first_id"), "n")
     of_content = cuts.groupBy("multiset").agg(F.min("m").alias("b"))
     edges = cuts.join(sequences.select("sequence", "a"), "sequence").join(of_content, "multiset").select("a", "b")
-    labels = _smallest(materialized(edges, "links"))
+    labels = smallest_linked(materialized(edges, "links"))
     return sequences.join(labels, "a", "left").select("sequence", F.coalesce("first", "a").alias("first_id"), "n")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievora.functions.words import distinct_words
-from sievora.llm.content import contents, multiset_hash
+from sievora.llm.content import contents, multiset_hash, smallest_linked
 from sievora.operators.skew import MAX_HEAVY, salted_join
 from sievora.session import materialized
 from sievora.sources.tables import valid_passages
@@ -144,22 +144,39 @@ def _expanded(pairs: DataFrame, members: DataFrame, key: str, heavy: DataFrame)
     return whole.select(F.least("one", "other").alias("id_a"), F.greatest("one", "other").alias("id_b"))
 
 
+def word_sets(passages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(long, members, pairs): the long passages; (id, rep, n), rep being the smallest of the n ids with the same words; and
+    the pairs (id_a, id_b) of reps that share enough words. Passages of the same words are one set, compared with others once."""
+    long = materialized(long_passages(passages).withColumn("set", multiset_hash(F.col("words"))), "long")
+    groups = long.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    heavy = groups.where(F.col("n") * MAX_HEAVY >= groups.agg(F.sum("n")).scalar()).select("set")
+    members = materialized(salted_join(long.select("id", "set"), groups, ["set"], heavy, F.xxhash64("id")).select("id", "rep", "n"), "sets")
+    firsts = members.where("id = rep").select("id")
+    return long, members, close_sets(long.select("id", "words").join(firsts, "id", "left_semi"))
+
+
+def near_groups(passages: DataFrame) -> DataFrame:
+    """(id, class_id): of each long passage the smallest id that a chain of near copies leads to, its own if it has none."""
+    _, members, pairs = word_sets(passages)
+    both = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
+    edges = both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    edges = materialized(edges.unionByName(edges.select("a", F.col("a").alias("b")).distinct()), "edges")
+    labels = smallest_linked(edges).select(F.col("a").alias("rep"), "first")
+    heavy = members.where(F.col("n") * MAX_HEAVY >= members.agg(F.count(F.lit(1))).scalar()).select("rep").distinct()
+    every = members.select("rep").distinct().join(labels, "rep", "left").select("rep", F.coalesce("first", "rep").alias("class_id"))
+    return salted_join(members.select("id", "rep"), every, ["rep"], heavy, F.xxhash64("id")).select("id", "class_id")
+
+
 def near_copies(passages: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: valid passages of at least LEAST_WORDS distinct words that share enough of them
     and are not of one content (see contents).
 
-    Passages of the same words are one set, compared with others once; its pairs are written out at the
-    end. Null passages, rows without id and shorter passages give no pair; no rows give no rows. Runs jobs when
-    called (intermediate tables in the shared folder).
+    Pairs of sets are written out as pairs of ids at the end. Null passages, rows without id and shorter passages
+    give no pair; no rows give no rows. Runs jobs when called (intermediate tables in the shared folder).
     """
-    long = materialized(long_passages(passages).withColumn("set", multiset_hash(F.col("words"))), "long")
-    groups = long.groupBy("set").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    heavy_sets = groups.where(F.col("n") * MAX_HEAVY >= groups.agg(F.sum("n")).scalar())
-    members = salted_join(long.select("id", "set"), groups, ["set"], heavy_sets.select("set"), F.xxhash64("id"))
-    members = materialized(members.select("id", "rep", "n"), "sets")
-    firsts = members.where("id = rep").select("id")
-    pairs = close_sets(long.select("id", "words").join(firsts, "id", "left_semi"))
-    of_sets = _expanded(pairs.select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b")), members, "rep", heavy_sets.select("rep"))
+    long, members, pairs = word_sets(passages)
+    heavy = members.where(F.col("n") * MAX_HEAVY >= members.agg(F.count(F.lit(1))).scalar()).select("rep").distinct()
+    of_sets = _expanded(pairs.select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b")), members, "rep", heavy)
 
     # within a set the pairs of different contents
     alike = members.where("n > 1").select("id", "rep")

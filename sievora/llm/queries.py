@@ -8,7 +8,7 @@ from sievora.llm.bpe import token_ids
 from sievora.llm.content import contents
 from sievora.llm.distinctive import distinctive_terms, most_distinctive
 from sievora.llm.item_search import documents_with_items
-from sievora.llm.near_copies import near_copies
+from sievora.llm.near_copies import near_copies, near_groups
 from sievora.llm.reading_level import reading_bands
 from sievora.llm.term_counts import marked_terms
 from sievora.sources.tables import table
@@ -26,6 +26,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "passages"))
 
 
+def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "passages"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return contents(table(spark, folder, "passages"))[1]
 
@@ -118,6 +122,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
     "p2_found": p2_found,
+    "p2_groups": p2_groups,
     "p4_found": p4_found,
     "p4_contents": p4_contents,
     "p5_found": p5_found,
@@ -133,6 +138,11 @@ ORACLES = {
 n AS (SELECT * FROM w WHERE len(w) >= 38)
 SELECT a.id AS id_a, b.id AS id_b FROM n a JOIN n b ON a.id < b.id AND a.content <> b.content
 WHERE len(list_intersect(a.w, b.w)) * 10 >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""",
+    "p2_groups": f"""WITH RECURSIVE {_VALID},
+n AS (SELECT * FROM (SELECT id, list_distinct({_WORDS % "passage"}) AS w FROM v WHERE passage IS NOT NULL) WHERE len(w) >= 38),
+links AS (SELECT a.id AS one, b.id AS other FROM n a JOIN n b ON len(list_intersect(a.w, b.w)) * 10 >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+reach AS (SELECT one, other FROM links UNION SELECT reach.one, links.other FROM reach JOIN links ON reach.other = links.one)
+SELECT one AS id, min(other) AS class_id FROM reach GROUP BY one""",
     "p4_found": _CONTENTS + "SELECT first_id, id AS copy_id FROM c JOIN g USING (content) WHERE id <> first_id",
     "p4_contents": _CONTENTS + "SELECT first_id, copies FROM g",
     "p5_found": _COUNTS + "SELECT element_key, mark FROM counts WHERE mark IS NOT NULL",

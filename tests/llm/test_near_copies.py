@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sievora.llm.near_copies import close_sets, near_copies, segments, size_classes
+from sievora.llm.near_copies import close_sets, near_copies, near_groups, segments, size_classes
 
 SCHEMA = "id int, passage string, loaded_at int"
 
@@ -16,7 +16,10 @@ def test_pairs_at_the_bound_and_copies(spark):
     rows += [(8, " ".join(near.split()[::-1]), 1), (None, near, 1)]
     found = sorted(tuple(r) for r in near_copies(spark.createDataFrame(rows, SCHEMA)).collect())
     assert found == [(1, 2), (1, 8), (2, 3), (2, 4), (2, 8), (4, 8)]
-    assert near_copies(spark.createDataFrame([], SCHEMA)).isEmpty()
+    # 3 is near 2, which is near 1; 4 and 8 have the words of 1
+    groups = near_groups(spark.createDataFrame(rows + [(20, " ".join(f"z{i}" for i in range(40)), 1)], SCHEMA))
+    assert {r.id: r.class_id for r in groups.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 1, 20: 20}
+    assert near_copies(spark.createDataFrame([], SCHEMA)).isEmpty() and near_groups(spark.createDataFrame([], SCHEMA)).isEmpty()
 
 
 @pytest.mark.parametrize("shared,of,least", [(7, 10, 38), (8, 10, 5), (1, 2, 2)])
