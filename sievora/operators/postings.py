@@ -90,10 +90,9 @@ def with_block_numbers(ordered: DataFrame) -> DataFrame:
     most one a range, so the offsets are no more than the ranges.
     """
     sizes = ordered.groupBy("part", "term").agg(F.count(F.lit(1)).alias("n"))
-    # a term in several ranges is the last of one and the first of the next; of each range only the first term has an offset
-    several = sizes.join(sizes.groupBy("term").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("term"), "term", "left_semi")
-    later = several.select("term", F.col("part").alias("later"))
-    offsets = later.join(several, "term").where("part < later").groupBy("term", F.col("later").alias("part")).agg(F.sum("n").alias("offset"))
+    # the ranges of one term, no more than there are ranges
+    before = F.sum("n").over(Window.partitionBy("term").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.withColumn("offset", before).where("offset IS NOT NULL").select("part", "term", "offset")
     placed = ordered.join(F.broadcast(offsets), ["part", "term"], "left").withColumn("place", F.col("nth") + F.coalesce("offset", F.lit(0)))
     return placed.select("term", "doc_id", "tf", "qlen", F.floor(F.col("place") / BLOCK).cast("int").alias("block_no"), "place")
 
@@ -135,7 +134,8 @@ def dense_ordinals(documents: DataFrame) -> DataFrame:
     # the id holds the partition in its upper bits and the row in its lower ones; both come from the sorted ranges
     marked = materialized(ranges.withColumn("at", F.monotonically_increasing_id()), "ordinals")
     part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = marked.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    # one row a partition on either side
-    before = sizes.select(F.col("part").alias("later")).join(sizes, F.col("part") < F.col("later"), "left").groupBy("later").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("before"))
+    # one row a partition
+    sizes = marked.groupBy(part.alias("later")).agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.orderBy("later").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select("later", F.coalesce(running, F.lit(0)).alias("before"))
     return marked.join(F.broadcast(before), part == F.col("later")).select("doc_id", (F.col("before") + row).alias("ordinal"))
