@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievora.functions.words import words
@@ -47,11 +47,8 @@ def _summed(entries: Column) -> Column:
     return F.when(F.size(keys) < F.size(entries), merged).otherwise(entries)
 
 
-def positions_vector(text: Column) -> Column:
-    """The vector of the text form `term:pos[,pos]`; tf is the number of positions, 0 for a term without any.
-
-    A position may carry a weight letter, a term may be quoted; both don't matter. Null for null, empty for a blank text.
-    """
+def _entries(text: Column) -> Column:
+    """The terms of the text form `term:pos[,pos]` with their tf, a term as often as it is written."""
 
     def entry(x: Column) -> Column:
         positions, term = F.regexp_extract(x, POSITIONS, 1), F.regexp_replace(x, POSITIONS, "")
@@ -66,8 +63,21 @@ def positions_vector(text: Column) -> Column:
         return F.struct(at[0].alias("term"), F.size(F.split(at[1], ",")).cast("bigint").alias("tf"))
 
     simple = text.rlike(r"^[^\s':]+:[0-9]+(?:,[0-9]+)*(?: [^\s':]+:[0-9]+(?:,[0-9]+)*)*$")
-    entries = F.when(simple, F.transform(F.split(text, " "), plain)).otherwise(F.transform(F.regexp_extract_all(text, F.lit(ENTRY), F.lit(0)), entry))
-    return _summed(entries)
+    return F.when(simple, F.transform(F.split(text, " "), plain)).otherwise(F.transform(F.regexp_extract_all(text, F.lit(ENTRY), F.lit(0)), entry))
+
+
+def positions_vector(text: Column) -> Column:
+    """The vector of the text form `term:pos[,pos]`; tf is the number of positions, 0 for a term without any.
+
+    A position may carry a weight letter, a term may be quoted; both don't matter. Null for null, empty for a blank text.
+    """
+    return _summed(_entries(text))
+
+
+def with_positions_vector(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with positions_vector(column) as `name`, in two steps, so that a text is parsed once only."""
+    parsed = df.withColumn("__entries", _entries(F.col(column)))
+    return parsed.withColumn(name, _summed(F.col("__entries"))).drop("__entries")
 
 
 def ids_vector(ids: Column) -> Column:

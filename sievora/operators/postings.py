@@ -22,13 +22,16 @@ def document_rows(vectors: DataFrame) -> DataFrame:
 
 def term_rows(texts: DataFrame) -> DataFrame:
     """(doc_id, qlen, term, tf) of (doc_id, len, terms ARRAY<STRING>); counted in each task before the shuffle."""
-    each = texts.select("doc_id", quantised_length(F.col("len")).alias("qlen"), F.explode("terms").alias("term"))
+    # qlen is made before the rows are multiplied; the outer form, as the inner one would add filters that split each text twice more
+    sized = texts.select("doc_id", quantised_length(F.col("len")).alias("qlen"), "terms")
+    each = sized.select("doc_id", "qlen", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
     return each.groupBy("doc_id", "qlen", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vector_rows(vectors: DataFrame) -> DataFrame:
     """(doc_id, qlen, term, tf) of (doc_id, len, vector)."""
-    return vectors.select("doc_id", quantised_length(F.col("len")).alias("qlen"), F.inline("vector")).select("doc_id", "qlen", "term", "tf")
+    sized = vectors.select("doc_id", quantised_length(F.col("len")).alias("qlen"), "vector")
+    return sized.select("doc_id", "qlen", F.inline_outer("vector")).where("term IS NOT NULL").select("doc_id", "qlen", "term", "tf")
 
 
 def corpus_stats(documents: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievora.functions.scoring import idf, quantised_length, saturated_tf
-from sievora.functions.vectors import analyser, ids_vector, positions_vector, vector_length
+from sievora.functions.vectors import analyser, ids_vector, positions_vector, vector_length, with_positions_vector
 from sievora.functions.words import WORD
 from sievora.operators import postings as P
 from sievora.operators.skew import MAX_HEAVY, salted_join
@@ -53,8 +53,10 @@ def _vectors(df: DataFrame, id_col: str, column: str, analysis: str) -> DataFram
     doc_id = F.coalesce(F.col(id_col), F.raise_error(F.lit(f"{id_col} is null"))).cast("bigint").alias("doc_id")
     present = df.where(F.col(column).isNotNull())
     if analysis in ("positions", "ids", "vector"):
-        made = {"positions": positions_vector, "ids": ids_vector, "vector": lambda x: x.cast(VECTOR)}[analysis](F.col(column))
-        v = present.select(doc_id, made.alias("vector"))
+        if analysis == "positions":
+            v = with_positions_vector(present.select(doc_id, F.col(column).alias("__text")), "__text", "vector").drop("__text")
+        else:
+            v = present.select(doc_id, (ids_vector(F.col(column)) if analysis == "ids" else F.col(column).cast(VECTOR)).alias("vector"))
         return v.select("doc_id", vector_length(F.col("vector")).alias("len"), "vector")
     terms = present.select(doc_id, analyser(analysis)(F.col(column)).alias("terms"))
     return terms.select("doc_id", F.size("terms").cast("bigint").alias("len"), "terms")
@@ -94,15 +96,26 @@ class RankedIndex:
         if column not in df.columns:
             raise ValueError(f"no column {column!r} to index")
         index = cls(df.sparkSession, name, {"id": id_col, "column": column, "analysis": analysis, "where": where}, IndexOptions.of(**options), path)
-        vectors = _vectors(df.where(where) if where else df, id_col, column, analysis)
-        index._seal(P.document_rows(vectors), _postings(vectors))
+        index._seal_source(df)
         return index
 
+    def _seal_source(self, df: DataFrame) -> None:
+        """Analyse the source and seal it. With a path the vectors are written first, so that texts are analysed once."""
+        where = self.source["where"]
+        vectors = _vectors(df.where(where) if where else df, self.source["id"], self.source["column"], self.source["analysis"])
+        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
+        if self.path:
+            if not self.version and files.exists(self.spark, f"{self.path}/manifests"):
+                raise ValueError(f"{self.path} already holds an index")
+            vectors.write.parquet(staged)
+            vectors = self.spark.read.schema(vectors.schema).parquet(staged)
+        self._seal(P.document_rows(vectors), _postings(vectors))
+        if self.path:
+            files.remove(self.spark, staged)
+
     def _seal(self, documents: DataFrame, postings: DataFrame) -> None:
         """Take these as the sealed documents; with a path, write the tables of a new epoch and its manifest."""
         if self.path:
-            if files.exists(self.spark, f"{self.path}/manifests") and not self.version:
-                raise ValueError(f"{self.path} already holds an index")
             self.epoch += 1
             # a folder of its own: what a failed build left is never read
             self.folder = f"epoch-{self.epoch}-{uuid.uuid4().hex[:8]}"
@@ -164,7 +177,7 @@ class RankedIndex:
 
     def free_old_epochs(self) -> list[str]:
         """Remove the folders of earlier epochs and what failed builds left; the manifests' history goes with them."""
-        gone = [x for x in files.names(self.spark, self.path) if x.startswith("epoch-") and x != self.folder]
+        gone = [x for x in files.names(self.spark, self.path) if x.startswith(("epoch-", "staged-")) and x != self.folder]
         for x in gone:
             files.remove(self.spark, f"{self.path}/{x}")
         for x in files.names(self.spark, f"{self.path}/manifests"):
@@ -181,9 +194,7 @@ class RankedIndex:
     def rebuild(self, df: DataFrame, **options: object) -> None:
         """Build again from the source, perhaps with other options."""
         self.options = IndexOptions.of(**{**asdict(self.options), **options})
-        where = self.source["where"]
-        vectors = _vectors(df.where(where) if where else df, self.source["id"], self.source["column"], self.source["analysis"])
-        self._seal(P.document_rows(vectors), _postings(vectors))
+        self._seal_source(df)
 
     def describe(self) -> DataFrame:
         """(structure, rows) of each table of the index."""

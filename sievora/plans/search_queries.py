@@ -11,7 +11,7 @@ from sievora.functions import scoring, vectors
 from sievora.operators import postings as P
 from sievora.operators.ranking import RankedIndex
 from sievora.session import materialized, work_folder
-from sievora.sources.tables import table, valid_passages
+from sievora.sources.tables import spread, table, valid_passages
 from sievora.streaming.ingest import stream_insert
 
 TERMS = ("index", "posting", "statistics")
@@ -25,7 +25,7 @@ DEAD = "lang = 'fr'"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 def _index(df: DataFrame, name: str = "documents", **more: object) -> RankedIndex:
@@ -180,7 +180,7 @@ def ids_to_vector(spark: SparkSession, folder: str) -> DataFrame:
 
 def _embeddings(spark: SparkSession, folder: str) -> DataFrame:
     valid = valid_passages(table(spark, folder, "passages"), "embedding").where("embedding IS NOT NULL")
-    return valid.select("id", vectors.positions_vector(F.col("embedding")).alias("vector"))
+    return vectors.with_positions_vector(valid, "embedding", "vector").select("id", "vector")
 
 
 def vector_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,6 +11,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: for texts whose analysis costs more than moving them.
+
+    A table of a few small files or row groups is read by as few tasks; it is dealt out once. A table in
+    more parts, as any large one is, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def latest_rows(df: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:
     """Of the rows of one key, the one with the largest `at`; a null `at` comes last.
 
