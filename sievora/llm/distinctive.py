@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievora.functions.scoring import idf, quantised_length, saturated_tf
-from sievora.functions.vectors import positions_vector, vector_length
+from sievora.functions.vectors import vector_length, with_positions_vector
 from sievora.sources.tables import current_epoch, current_jumps, valid_passages
 
 #: Below it a factorial is taken from a table, above it from Stirling's series.
@@ -143,8 +143,9 @@ def distinctive_terms(passages: DataFrame, tokens: DataFrame, jumps: DataFrame,
     options = of_index.select("index_id", n.alias("n"), total.alias("total"), "k1", "b", F.try_divide(total.cast("double"), n.cast("double")).alias("avgdl"))
 
     valid = valid_passages(passages, "embedding", "index_id").where("embedding IS NOT NULL")
-    parsed = valid.select("id", "index_id", positions_vector(F.col("embedding")).alias("terms")).withColumn("length", vector_length(F.col("terms")))
-    each = parsed.select("id", "index_id", "length", F.inline("terms")).withColumnRenamed("term", "element_key")
+    parsed = with_positions_vector(valid, "embedding", "terms").withColumn("length", vector_length(F.col("terms")))
+    # the outer form, since the inner one would add filters that parse each text twice more
+    each = parsed.select("id", "index_id", "length", F.inline_outer("terms")).where("term IS NOT NULL").withColumnRenamed("term", "element_key")
     # a broadcast vocabulary leaves the terms of a passage where they are; a large one is joined by shuffles
     small = tokens.select(F.coalesce(F.sum(F.octet_length("token_key") + 64), F.lit(0)).alias("n")).first().n <= most_broadcast
     known = each.join(F.broadcast(listed) if small else listed, ["index_id", "element_key"])

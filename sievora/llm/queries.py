@@ -11,11 +11,11 @@ from sievora.llm.item_search import documents_with_items
 from sievora.llm.near_copies import near_copies, near_groups
 from sievora.llm.reading_level import reading_bands
 from sievora.llm.term_counts import marked_terms
-from sievora.sources.tables import table
+from sievora.sources.tables import spread, table
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive_terms(*(table(spark, folder, t) for t in ("passages", "tokens", "jumps")))
+    return distinctive_terms(spread(table(spark, folder, "passages")), table(spark, folder, "tokens"), table(spark, folder, "jumps"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,19 +23,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return near_copies(table(spark, folder, "passages"))
+    return near_copies(spread(table(spark, folder, "passages")))
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_groups(table(spark, folder, "passages"))
+    return near_groups(spread(table(spark, folder, "passages")))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return contents(table(spark, folder, "passages"))[1]
+    return contents(spread(table(spark, folder, "passages")))[1]
 
 
 def p4_contents(spark: SparkSession, folder: str) -> DataFrame:
-    return contents(table(spark, folder, "passages"))[0]
+    return contents(spread(table(spark, folder, "passages")))[0]
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,15 +47,15 @@ def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return token_ids(table(spark, folder, "documents"))
+    return token_ids(spread(table(spark, folder, "documents")))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return documents_with_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return documents_with_items(spread(table(spark, folder, "documents")), table(spark, folder, "eval_items"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return reading_bands(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+    return reading_bands(spread(table(spark, folder, "documents")), table(spark, folder, "level_labels"))
 
 
 # A number keeps its sign and decimal points; RE2 has no lookaround, hence the long form.
